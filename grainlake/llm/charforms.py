@@ -62,7 +62,7 @@ def _char_class(codes: list[int]) -> str:
 
 _ODD = re.compile(_char_class(list(PROTOTYPE)))
 _ODD_RUN = re.compile(_char_class(list(PROTOTYPE)) + "+")
-_PUNCT = re.compile("[^\x00-\x7fÀ-ɏ̀-ͯḀ-ỿ]+")
+_PUNCT = re.compile("[^\x00-\x7fÀ-ɏ\u0300-\u036fḀ-ỿ]+")
 _WORD_BYTES = bytes(c if chr(c).isalnum() and c < 128 else 0x20 for c in range(256))
 
 
@@ -91,11 +91,14 @@ def ascii_fold(text: str) -> bytes:
     """Lower case ASCII without accents, from the skeleton; other characters become blanks, lines stay."""
     if text.isascii():
         return text.lower().encode("ascii")
-    text = unicodedata.normalize("NFD", text)
     if _ODD.search(text):
-        text = _ODD_RUN.sub(_replace, text)
-    text = text.lower().replace("đ", "d").replace("²", "2").replace("³", "3")
-    return unicodedata.normalize("NFD", _PUNCT.sub(" ", text)).encode("ascii", "ignore")
+        text = _ODD_RUN.sub(_replace, unicodedata.normalize("NFD", text))
+    text = unicodedata.normalize("NFD", text.lower())
+    if "đ" in text:
+        text = text.replace("đ", "d")
+    if _PUNCT.search(text):
+        text = _PUNCT.sub(" ", text.replace("²", "2").replace("³", "3"))
+    return text.encode("ascii", "ignore")
 
 
 def word_line(text: str) -> bytes:
