@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from grainlake.llm.charforms import ascii_fold
 from grainlake.session import materialize
@@ -47,7 +48,7 @@ def cited_documents(text: str | None) -> list[str]:
     return sorted(found)
 
 
-@arrow_udf("array<string>")
+@arrow_udf(ArrayType(StringType()))
 def _cited(text: pa.Array) -> pa.Array:
     return pa.array([cited_documents(t) for t in text.to_pylist()], pa.list_(pa.string()))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainlake.llm import grouped_split, leakage, lookalikes, site_lines, splitting, tokenizing
+from grainlake.llm import grouped_split, leakage, lookalikes, neighbours, question_pairs, residues, site_lines, splitting, tokenizing
 from grainlake.sources.tables import table
 
 
@@ -50,6 +50,11 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.stratified_split(table(spark, d, "train"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks at least one of which is among the other's five most similar."""
+    return neighbours.neighbour_pairs(table(spark, d, "parent_embeddings"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines repeated excessively within their site."""
     return site_lines.repeated_lines(table(spark, d, "selected_contexts"))
@@ -60,6 +65,16 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(table(spark, d, "selected_contexts"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of train and of the public evaluation that are the same."""
+    return question_pairs.same_questions(table(spark, d, "train"), table(spark, d, "public_official"))
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same as counts by eval_split and site."""
+    return question_pairs.pair_counts(p7_found(spark, d), table(spark, d, "public_official"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_corpus(table(spark, d, "documents"))
@@ -75,8 +90,13 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_stretches(table(spark, d, "documents"), table(spark, d, "private_official"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with left-over template marks, filler, an error page or a notice in place of content."""
+    return residues.residue_documents(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p2_one_form, p3_found, p3_split, p6_found, p6_clean, p8_ids, p9_found, p9_stretches)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p2_one_form, p3_found, p3_split, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_ids, p9_found, p9_stretches, p10_found)
 }
 
 #: No SQL: the texts need Unicode forms, regular expressions over folded text, or searches that SQL is too slow for. Tests in tests/llm.
