@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from grainlake.llm.charforms import canonical, words
+from grainlake.llm.charforms import canonical
 
 LIMIT, OVERLAP = 1200, 120
 
@@ -29,8 +29,10 @@ _CANDIDATE = re.compile(r"^[^\w\n“\"«‘']*([ĐđÐƉＤｄ].{0,200})", re.M)
 _HEADING = re.compile(r"điều\s+\d+\s*[a-zđ]?\s*(?:\([^)\n]*\)|\[[^\]\n]*\])?\s*[.:]")
 _QUOTED = re.compile(r"^[^\w\n“\"«]*[“\"«][^\w\n]*[ĐđÐƉＤｄ]", re.M)
 _CLOSING = re.compile("[”\"»]")
-_LEADS_ON = set("tai theo cua va hoac voi cung den tu trong o neu boi ve cac nhung quy_dinh can_cu khoan diem".split())
-_REFERENCE_END = re.compile(r"(?:^| )(?:khoan \d+|diem [a-z]|khoan|diem|quy dinh|can cu|chieu|dieu)$")
+_LEADS_ON = set("tại theo của và hoặc với cùng đến từ trong ở nếu bởi về các những khoản điểm".split())
+_REFERENCE_END = re.compile(r"(?:^| )(?:khoản \d+|điểm [a-zđ]|khoản|điểm|quy định|căn cứ|chiếu|điều)$")
+_SENTENCE_OVER = re.compile(r"[.;:!?…][”\"»’')\]]*$")
+_WORD = re.compile(r"\w+")
 
 # Natural ends: before a line break, and after a sentence mark that is no number of a clause or abbreviation.
 _LINE_END = re.compile(r"[ \t\r\xa0]*\n")
@@ -56,8 +58,9 @@ def article_starts(passage: str) -> list[int]:
         before = passage[max(0, at - 120) : at].rstrip()
         if before.endswith((",", "(", "/")):
             continue
-        tail = words(before.rpartition("\n")[2][-60:])[-2:]
-        if tail and (tail[-1] in _LEADS_ON or _REFERENCE_END.search(" ".join(tail))):
+        last = canonical(before.rpartition("\n")[2][-60:]).lower().rstrip()
+        tail = _WORD.findall(last)[-2:]
+        if tail and not _SENTENCE_OVER.search(last) and (tail[-1] in _LEADS_ON or _REFERENCE_END.search(" ".join(tail))):
             continue
         starts.append(at)
     return starts
