@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainlake.llm import grouped_split, leakage, lookalikes, neighbours, question_pairs, residues, site_lines, splitting, tokenizing
 from grainlake.sources.tables import table
@@ -36,8 +37,10 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_one_form(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of train in one form."""
-    return lookalikes.one_form(table(spark, d, "train").select("qid", "question").dropDuplicates(), ["question"])
+    """tbl, key, text: passages of selected_contexts and questions of train in one form."""
+    parts = (("selected_contexts", "id", "passage"), ("train", "qid", "question"))
+    rows = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(k).cast("string").alias("key"), F.col(x).alias("text")).dropDuplicates() for t, k, x in parts]
+    return lookalikes.one_form(rows[0].unionByName(rows[1]), ["text"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
