@@ -62,7 +62,7 @@ def binding_keys(df: DataFrame) -> DataFrame:
 
 def key_components(keys: DataFrame, most_rounds: int = 60) -> DataFrame:
     """key, label: the smallest key of the component, for every key."""
-    pairs = keys.filter(F.size("keys") > 1).select(F.col("keys")[0].alias("a"), F.explode(F.slice("keys", 2, 100_000)).alias("b")).distinct()
+    pairs = keys.filter(F.size("keys") > 1).select(F.col("keys")[0].alias("a"), F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("b")).distinct()
     both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "p3-edges")
     label = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key"), "p3-label")
     for _ in range(most_rounds):
