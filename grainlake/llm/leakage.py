@@ -18,9 +18,11 @@ from bisect import bisect_left
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from grainlake.llm.charforms import ascii_fold, word_line, words
 
@@ -135,6 +137,25 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
 
 _SCANNERS: dict[str, Scanner] = {}
 _FOUND = pa.list_(pa.struct([("qid", pa.string()), ("n_words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+_FOUND_TYPE = ArrayType(StructType([StructField("qid", StringType()), *(StructField(c, IntegerType()) for c in ("n_words", "start", "end"))]))
+
+
+def _scan(shared: Broadcast, name: str, least: int, edits: int, block: int):
+    """A column function from text to its leaked stretches; the automaton is built once for each Python worker."""
+
+    @arrow_udf(_FOUND_TYPE)
+    def scan(text: pa.Array) -> pa.Array:
+        if name not in _SCANNERS:
+            _SCANNERS.clear()
+            _SCANNERS[name] = Scanner(shared.value, least, edits, block)
+        found = []
+        for t in text.to_pylist():
+            leaks = _SCANNERS[name].scan(t) if t else {}
+            spans = word_offsets(t) if leaks else []
+            found.append([{"qid": q, "n_words": n, "start": spans[a][0], "end": spans[b][1]} for q, (n, a, b) in leaks.items()])
+        return pa.array(found, _FOUND)
+
+    return scan
 
 
 def leaked_stretches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "qid", item_texts: tuple[str, ...] = ("question", "reference_answer"), least: int = LEAST_WORDS, edits: int = MOST_EDITS, block: int = BLOCK, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -149,18 +170,7 @@ def leaked_stretches(docs: DataFrame, items: DataFrame, key: str = "doc_id", tex
     for at in range(0, max(1, len(pairs)), items_at_once):
         shared, name = spark.sparkContext.broadcast(pairs[at : at + items_at_once]), uuid.uuid4().hex
 
-        @arrow_udf("array<struct<qid:string,n_words:int,start:int,end:int>>")
-        def scan(text: pa.Array, shared=shared, name=name) -> pa.Array:
-            if name not in _SCANNERS:
-                _SCANNERS.clear()
-                _SCANNERS[name] = Scanner(shared.value, least, edits, block)
-            found = []
-            for t in text.to_pylist():
-                leaks = _SCANNERS[name].scan(t) if t else {}
-                spans = word_offsets(t) if leaks else []
-                found.append([{"qid": q, "n_words": n, "start": spans[a][0], "end": spans[b][1]} for q, (n, a, b) in leaks.items()])
-            return pa.array(found, _FOUND)
-
+        scan = _scan(shared, name, least, edits, block)
         part = rows.select("doc_id", F.explode(scan("text")).alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.unionByName(part)
     return out.dropDuplicates()

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from grainlake.llm.charforms import canonical
 from grainlake.session import materialize
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def _canonical(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None else canonical(t) for t in text.to_pylist()], pa.string())
 
@@ -32,7 +33,7 @@ def _digest(text: str) -> bytes:
 _SIGNATURE = pa.struct([("skel", pa.binary()), ("raw", pa.binary())])
 
 
-@arrow_udf("struct<skel:binary,raw:binary>")
+@arrow_udf(StructType([StructField("skel", BinaryType()), StructField("raw", BinaryType())]))
 def _signature(text: pa.Array) -> pa.Array:
     out = []
     for t in text.to_pylist():
