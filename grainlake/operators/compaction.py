@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from grainlake.session import scratch_dir
 
@@ -69,7 +70,7 @@ def parse_file(content: str | None, path: str | None) -> list[dict]:
     return docs
 
 
-@arrow_udf("array<struct<id:bigint,name:string,link:string,passage:string>>")
+@arrow_udf(ArrayType(StructType([StructField("id", LongType()), *(StructField(c, StringType()) for c in ("name", "link", "passage"))])))
 def _parsed(content: pa.Array, path: pa.Array) -> pa.Array:
     return pa.array([parse_file(c, p) for c, p in zip(content.to_pylist(), path.to_pylist(), strict=True)], _DOCS)
 
