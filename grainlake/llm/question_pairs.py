@@ -2,7 +2,7 @@
 
 Method: canonicalised hash join across the splits. Each question is folded to words, courtesy phrases taken off; the numbers
 that it names must be equal and are part of every join key, and the legal documents must not differ. A change of one word destroys at most three
-pairs of adjacent words, so of the rarest 3k + 3 pairs of two questions within k changes at least three are common (prefix
+pairs of adjacent words, so of the rarest 3k + 6 pairs of two questions within k changes at least six are common (prefix
 filter, in one global order): the hash join over these keys loses none, and an exact count of the changes follows.
 
 Defined results: null and blank questions, and null keys, are no cases; repeated rows count once; the most changes are one
@@ -26,7 +26,7 @@ from grainlake.llm.grouped_split import cited_documents
 from grainlake.session import materialize
 
 WORDS_A_CHANGE = 8
-IN_COMMON = 3  # keys that two questions must share; shorter ones are equal and share all they have
+IN_COMMON = 6  # keys that two questions must share; shorter ones are equal and share all they have
 
 # Courtesy phrases after the fold, at the start and at the end.
 _OPENING = re.compile(
