@@ -68,6 +68,11 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(table(spark, d, "selected_contexts"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines when names are masked as well, with their passages."""
+    return site_lines.repeated_classes(table(spark, d, "selected_contexts"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Questions of train and of the public evaluation that are the same."""
     return question_pairs.same_questions(table(spark, d, "train"), table(spark, d, "public_official"))
@@ -99,7 +104,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p2_one_form, p3_found, p3_split, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_ids, p9_found, p9_stretches, p10_found)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p2_one_form, p3_found, p3_split, p4_found, p6_found, p6_clean, p6_classes, p7_found, p7_counts, p8_ids, p9_found, p9_stretches, p10_found)
 }
 
 #: No SQL: the texts need Unicode forms, regular expressions over folded text, or searches that SQL is too slow for. Tests in tests/llm.
