@@ -127,29 +127,6 @@ def document_code(c: Column) -> Column:
     return F.regexp_extract(joined, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({P.DOC_CODE})(?![\p{{L}}\p{{N}}_])", 1)
 
 
-def document_title(name: Column, link: Column, passage: Column, prefix: Column, evidence: Column) -> Column:
-    """The name by which a document is cited, from the best of five sources.
-
-    A typed name, link or heading wins, cut 80 characters after its code; then a document named in any source; then the code of
-    the passage, with the type if one is named; else ''.
-    """
-    bounded = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){P.LEGAL_TYPE}(?![\p{{L}}\p{{N}}_])"
-    coded = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({P.DOC_CODE})(?![\p{{L}}\p{{N}}_])"
-    first = [clean_name(name), name_from_link(link), squeeze(text_of(prefix))]
-    more = [squeeze(F.substring(text_of(passage), 1, 2000)), squeeze(F.substring(text_of(evidence), 1, 1000))]
-
-    def typed(s: Column) -> Column:
-        code = F.regexp_extract(s, coded, 1)
-        begin, end = F.regexp_instr(s, F.lit(bounded)), F.regexp_instr(s, F.lit(coded)) + F.length(code) + 80
-        cut = squeeze(F.regexp_replace(F.substring(s, begin, F.greatest(F.lit(0), end - begin)), "^[ ,;-]+|[ ,;-]+$", ""))
-        return F.when(s.rlike(bounded), F.when(code != "", cut).when(F.length(s) <= 180, s))
-
-    code = document_code(F.substring(text_of(passage), 1, 2500))
-    kind = F.regexp_extract(F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in first)), bounded, 1)
-    last = F.when(code != "", F.when(kind != "", F.concat_ws(" ", kind, code)).otherwise(code))
-    return F.coalesce(*map(typed, first), *(F.nullif(document_name(s), F.lit("")) for s in (*first, *more)), last, F.lit(""))
-
-
 _LOWER = "a-zàáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
 
 

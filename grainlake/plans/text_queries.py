@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainlake.functions import patterns as P
 from grainlake.functions import text as T
+from grainlake.operators import answers
 from grainlake.plans import fixtures as X
 from grainlake.plans.registry import query
 from grainlake.sources.tables import table
@@ -159,9 +160,8 @@ def doc_code(spark: SparkSession, d: str) -> DataFrame:
 def doc_metadata(spark: SparkSession, d: str) -> DataFrame:
     """How each document is cited, from name, link, heading and text of its first chunk, and passage."""
     first = table(spark, d, "parent_embeddings").filter("chunk_pos is not null").groupBy("doc_id").agg(F.min_by("text", F.struct("chunk_pos", "chunk_id")).alias("evidence"))
-    rows = X.corpus(spark, d).join(first, "doc_id", "left")
-    title = T.document_title(F.col("name"), F.col("link"), F.col("passage"), T.chunk_prefix(F.col("evidence")), F.col("evidence"))
-    return rows.select("doc_id", title.alias("title"))
+    rows = X.corpus(spark, d).join(first, "doc_id", "left").withColumn("prefix", T.chunk_prefix(F.col("evidence")))
+    return answers.with_titles(rows, "evidence").select("doc_id", "title")
 
 
 @query()
