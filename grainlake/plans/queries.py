@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from grainlake.operators import compaction
-from grainlake.plans import action_queries, answer_queries, ranking_queries, retrieval_queries, text_queries  # noqa: F401
+from grainlake.plans import action_queries, answer_queries, check_queries, model_queries, ranking_queries, retrieval_queries, text_queries  # noqa: F401
 from grainlake.plans.registry import QUERIES, SQL, query
 from grainlake.sources.tables import table
 
