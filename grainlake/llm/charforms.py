@@ -11,14 +11,18 @@ import re
 import unicodedata
 
 # Letters of other alphabets (and Latin variants) with the shape of a Latin letter, and that letter.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝҮүᴦ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaeopcyxsijhdqwYyr"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝҮүᴦӏ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXaeopcyxsijhdqwYyrl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺονϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXCMovcj"
 ARMENIAN = "ՕՍօսհո"
 ARMENIAN_AS = "OUouhn"
 LATIN = "ÐƉɑɡɩı"
 LATIN_AS = "ĐĐagii"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+CHEROKEE = "ᎪᎠᎡᎢᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦ"
+CHEROKEE_AS = "ADRTJEWMHYGZVSLCPK"
 
 _INVISIBLE_MARKS = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)]
 
@@ -39,8 +43,10 @@ def _prototypes() -> dict[int, str | None]:
             way, _, target = unicodedata.decomposition(chr(code)).partition(" ")
             if way in ("<wide>", "<narrow>"):
                 table[code] = "".join(chr(int(x, 16)) for x in target.split())
+        elif 0x2160 <= code <= 0x217F or 0xFB00 <= code <= 0xFB06:  # numerals and ligatures that are drawn as their letters
+            table[code] = unicodedata.normalize("NFKC", chr(code))
     table |= dict.fromkeys(_INVISIBLE_MARKS)
-    for odd, plain in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (LATIN, LATIN_AS)):
+    for odd, plain in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (LATIN, LATIN_AS), (LISU, LISU_AS), (CHEROKEE, CHEROKEE_AS)):
         table |= {ord(a): b for a, b in zip(odd, plain, strict=True)}
     table |= {0x2028: "\n", 0x2029: "\n", 0x85: "\n"}
     return table
@@ -60,7 +66,16 @@ def _char_class(codes: list[int]) -> str:
     return "[" + "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in spans) + "]"
 
 
-_ODD = re.compile(_char_class(list(PROTOTYPE)))
+def _composed() -> list[int]:
+    """Characters that aren't odd themselves but hold an odd one when they are decomposed, like a Greek letter with an accent."""
+    found = []
+    for code in range(0x80, 0x10000):
+        if code not in PROTOTYPE and not 0xD800 <= code < 0xE000 and any(ord(c) in PROTOTYPE for c in unicodedata.normalize("NFD", chr(code))):
+            found.append(code)
+    return found
+
+
+_ODD = re.compile(_char_class([*PROTOTYPE, *_composed()]))
 _ODD_RUN = re.compile(_char_class(list(PROTOTYPE)) + "+")
 _PUNCT = re.compile("[^\x00-\x7fÀ-ɏ\u0300-\u036fḀ-ỿ]+")
 _WORD_BYTES = bytes(c if chr(c).isalnum() and c < 128 else 0x20 for c in range(256))

@@ -114,16 +114,18 @@ def stratified_split(df: DataFrame, label: str = "topic", splits: tuple[tuple[st
         rare = min((x for x in left if left[x]), key=lambda x: (left[x], x))
         used = F.array(*map(F.lit, done)) if done else F.array().cast("array<string>")
         todo = comps.filter(F.map_contains_key("has", F.lit(rare)) & ~F.arrays_overlap(F.map_keys("has"), used)).withColumn("n", F.col("has")[F.lit(rare)])
-        todo = materialize(todo.select("comp", "has", "n", F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket")), "p3-todo")
+        todo = todo.select("comp", "has", "n", F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket"))
         large = max(1, left[rare] / 400)
         need = dict(target[rare])
         chosen: list[tuple[str, str]] = []
-        for r in todo.filter(F.col("n") > large).select("comp", "n").orderBy(F.desc("n"), "comp").collect():
+        is_large = F.col("n") > large  # at most 400 of them; the others are summed by bucket, in the same job
+        found = todo.groupBy(F.when(is_large, F.col("comp")).alias("comp"), F.when(~is_large, F.col("bucket")).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+        for r in sorted((r for r in found if r["comp"] is not None), key=lambda r: (-r["n"], r["comp"])):
             to = max(names, key=lambda s: (need[s], -names.index(s)))
             need[to] -= r["n"]
             chosen.append((r["comp"], to))
-        small = todo.filter(F.col("n") <= large)
-        sums = dict(small.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+        small = todo.filter(~is_large)
+        sums = {r["bucket"]: r["n"] for r in found if r["comp"] is None}
         total, open_need = sum(sums.values()), {s: max(0.0, v) for s, v in need.items()}
         scale = total / (sum(open_need.values()) or 1)
         before, run = [], 0

@@ -4,8 +4,8 @@ Method: a segment tree over the byte positions of a piece holds the leftmost min
 makes logarithmic point updates on the live neighbours. Long words therefore cost n log n. The corpus repeats its words, so a
 bounded cache keeps the ids of words, as bytes, and a text is encoded by joining them.
 
-Defined results: null and empty text give an empty list; blank text is encoded like any other; rows of one doc_id that are
-repeated come out once; surrogates that cannot be encoded are replaced; special tokens in a text are ordinary text.
+Defined results: null and empty text give an empty list; blank text is encoded like any other; repeated rows come out as
+often as they stand in the table; surrogates that cannot be encoded are replaced; special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
