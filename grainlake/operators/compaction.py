@@ -31,8 +31,8 @@ _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("name", pa.string()), ("link",
 
 def _whole(value: object) -> int | None:
     """An id given as a whole number or as its digits."""
-    if isinstance(value, str) and re.fullmatch(r"\s*[+-]?[0-9]{1,18}\s*", value):
-        return int(value)
+    if isinstance(value, str) and re.fullmatch(r"\s*[+-]?[0-9]{1,19}\s*", value):
+        value = int(value)
     if isinstance(value, float) and value.is_integer():
         value = int(value)
     return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63 else None
@@ -63,7 +63,7 @@ def parse_file(content: str | None, path: str | None) -> list[dict]:
     for value in _objects(content) if content and content.strip() else []:
         if not isinstance(value, dict) or not isinstance(value.get("passage"), str):
             continue
-        key = _whole(value["id"]) if value.get("id") is not None else int(named[1]) if named else None
+        key = _whole(value["id"]) if value.get("id") is not None else _whole(named[1]) if named else None
         if key is not None:
             texts = {k: value[k] if isinstance(value.get(k), str) else None for k in ("name", "link", "passage")}
             docs.append({"id": key} | {k: v if v is None else v.encode("utf-8", "replace").decode() for k, v in texts.items()})
@@ -91,6 +91,13 @@ def _checksum(df: DataFrame) -> list[Column]:
 def compact(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Write df to path in files near target_bytes and commit after the checksum comparison; returns the committed table."""
     spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(f"{path} exists already; nothing written")
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
+        raise RuntimeError("the rebalance hint needs spark.sql.adaptive.enabled")
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     seen = Observation("compaction")
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -105,10 +112,8 @@ def compact(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> DataF
     # a stage run twice after a lost executor is observed twice; only then is the input read again
     if wrote != seen.get and wrote != df.agg(*_checksum(df)).first().asDict():
         raise RuntimeError(f"checksum differs, nothing committed; staged files are in {staging}")
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)):
-        raise RuntimeError(f"could not commit {path}; it may exist already")
+    if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+        raise RuntimeError(f"could not commit {path}; staged files are in {staging}")
     return spark.read.schema(df.schema).parquet(path)
 
 

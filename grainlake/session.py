@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_SCRATCH: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def build_session(master: str = "local[8]", app: str = "grainlake", **conf: str) -> SparkSession:
@@ -49,17 +50,14 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/grainlake/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files behind a materialized frame that no later plan reads."""
-    spark = df.sparkSession
+def release_all(spark: SparkSession) -> None:
+    """Delete every frame materialized so far in this process; call it when no result that reads them is wanted any more."""
     jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
-        folder = file.rsplit("/", 1)[0]
-        if "/grainlake/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            return
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
