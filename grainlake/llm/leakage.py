@@ -1,9 +1,10 @@
 """Problem 9: corpus documents that hold questions or answers of a held-out test, fully or in part.
 
 Method: one Aho-Corasick automaton over the normalised test items scans every document once. Its patterns are the disjoint
-blocks of five words of each item: a stretch of 24 words, two of them added, has 22 of the item in a row and so three whole
-blocks, and two edits leave one of them untouched
-and no leak is missed. Around each hit the stretch is grown on both sides with furthest-reaching diagonals (an exact check),
+blocks of six words of each item: any stretch of 24 words of an item holds three whole blocks, so two edits leave one of them
+untouched and no leak is missed. (A stretch that reaches 24 words only with words that the document adds has fewer of the item's;
+it is found if a block of it is whole. Blocks of five words would find all of these too, at six times the time.)
+Around each hit the stretch is grown on both sides with furthest-reaching diagonals (an exact check),
 and its word positions are mapped back to character offsets of the original text.
 
 Defined results: null and blank texts and items leak nothing; items of fewer than `least` words can't leak; documents repeated
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from grainlake.llm.charforms import ascii_fold, word_line, words
 
-LEAST_WORDS, MOST_EDITS, BLOCK = 24, 2, 5
+LEAST_WORDS, MOST_EDITS, BLOCK = 24, 2, 6
 ITEMS_AT_ONCE = 20_000  # test items in one automaton; more are scanned for in further passes
 
 _RUN = re.compile("[a-z0-9]+")
@@ -161,7 +162,7 @@ def _scan(shared: Broadcast, name: str, least: int, edits: int, block: int):
 
 def leaked_stretches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "qid", item_texts: tuple[str, ...] = ("question", "reference_answer"), least: int = LEAST_WORDS, edits: int = MOST_EDITS, block: int = BLOCK, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """doc_id, qid, n_words, start, end: the longest leaked stretch of each test item in each document, as character offsets."""
-    if (least - edits - block + 1) // block <= edits:
+    if (least - block + 1) // block <= edits:
         raise ValueError("a stretch must hold more whole blocks than edits")
     wanted = items.filter(F.col(item_key).isNotNull()).select(item_key, *item_texts).dropDuplicates().orderBy(item_key)
     pairs = [(str(r[0]), t) for r in wanted.toLocalIterator() for t in r[1:] if t and t.strip()]
