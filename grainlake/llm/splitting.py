@@ -114,7 +114,8 @@ def greedy_cuts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) ->
     if not texts:
         return []
     nat, node = np.concatenate(natural), np.concatenate(nodes)
-    far = nat[np.maximum(np.searchsorted(nat, node + reach, "right") - 1, 0)]
+    at = np.searchsorted(nat, node + reach, "right")
+    far = np.where(at > 0, nat[at - 1], -1)  # -1: no natural end so far
     any_far = node[np.searchsorted(node, node + reach, "right") - 1]
     succ = np.searchsorted(node, np.where(far > node, far, any_far))  # the successor of each boundary
     first = np.searchsorted(node, np.array(bases) + overlap)
