@@ -1,24 +1,32 @@
 """Problem 10: documents that hold left-over template marks, filler, an error page or a notice instead of content.
 
-Method: template marks are found anywhere in the canonical text by their shapes. For the rest each line is folded to words and
-the stock phrases and page trimmings (menus, codes, references) are taken off; a line that leaves no residual and held a
-stock phrase is evidence. A line that merely speaks of such things leaves words of its own. Every line is judged by itself, so
-nothing is shuffled; counts of lines by host are not needed, and a new phrase must be added to the lists.
-
-Defined results: null and blank texts and null keys are no cases; repeated rows count once; extra columns are ignored.
+Method: lines are normalised (folded to words) and counted by host. A line that holds nothing but stock phrases and page trimmings
+(menus, codes, references) is evidence. Evidence that recurs in much of its host (at least `min_docs` documents and a tenth of
+them, as a notice in every footer does) is boilerplate and is subtracted, unless the document has no other line; a document whose
+residual holds evidence is a case. Template marks are found by their shapes anywhere in the text, in boilerplate too, as
+TESTDATA.md asks. A line that merely speaks of such things leaves words of its own and is no evidence. Only evidence is counted:
+of other lines the decision doesn't depend. A new phrase must be added to the lists.
+
+Defined results: null and blank texts and null keys are no cases; null hosts are one host; repeated rows count once; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from grainlake.llm.charforms import ascii_fold, canonical
+from grainlake.session import materialize
+
+MIN_DOCS, MIN_SHARE = 4, 0.1
 
 # Shapes of unfilled placeholders. "{a + b}" is a formula, "5%s" a misprint, "[Sửa đổi]" a note.
 _UPPER = "A-ZÀ-ÖØ-ÞĂĐĨŨƠƯẠ-Ỹ"
@@ -55,23 +63,54 @@ def has_mark(form: str) -> bool:
 
 
 def is_stock(line: str) -> bool:
-    """Whether a folded line is nothing but stock phrases and page trimmings, with at least one stock phrase."""
-    own = " ".join(_WORD.findall(line))
-    rest, n = _STOCK.subn(" ", own)
+    """Whether a folded line of words is nothing but stock phrases and page trimmings, with at least one stock phrase."""
+    rest, n = _STOCK.subn(" ", line)
     return n > 0 and not _TRIMMINGS.sub(" ", rest).strip()
 
 
-def is_residue(text: str) -> bool:
-    """Whether a document is a case."""
-    return has_mark(canonical(text)) or any(map(is_stock, ascii_fold(text).decode("ascii").split("\n")))
+class Evidence(NamedTuple):
+    """What speaks against a text: a mark, its stock lines, and whether it has no other line."""
+
+    mark: bool
+    stock: list[str]
+    bare: bool
+
+
+def evidence(text: str) -> Evidence:
+    stock, others = [], 0
+    for line in ascii_fold(text).decode("ascii").split("\n"):
+        own = " ".join(_WORD.findall(line))
+        if is_stock(own):
+            stock.append(own)
+        elif own:
+            others += 1
+    return Evidence(has_mark(canonical(text)), stock, not others)
+
+
+_TYPE = StructType([StructField("mark", BooleanType()), StructField("stock", ArrayType(LongType())), StructField("bare", BooleanType())])
+_ARROW = pa.struct([("mark", pa.bool_()), ("stock", pa.list_(pa.int64())), ("bare", pa.bool_())])
+
+
+def _hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-@arrow_udf(BooleanType())
-def _residue(text: pa.Array) -> pa.Array:
-    return pa.array([bool(t) and is_residue(t) for t in text.to_pylist()], pa.bool_())
+@arrow_udf(_TYPE)
+def _evidence(text: pa.Array) -> pa.Array:
+    out = []
+    for t in text.to_pylist():
+        found = evidence(t) if t else None
+        out.append({"mark": found.mark, "stock": sorted({_hash(x) for x in found.stock}), "bare": found.bare} if found and (found.mark or found.stock) else None)
+    return pa.array(out, _ARROW)
 
 
-def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id of each document that holds residues in place of content."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    return rows.filter(_residue("text")).select("doc_id").dropDuplicates()
+    rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text")).filter("doc_id is not null")
+    sizes = rows.groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
+    found = materialize(rows.filter("text is not null").select("doc_id", "host", _evidence("text").alias("e")).filter("e is not null").select("doc_id", "host", "e.*"), "p10-evidence")
+    lines = found.select("doc_id", "host", F.explode("stock").alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= min_docs)
+    recurrent = counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("docs")).select("host", "line")
+    residual = lines.join(recurrent, ["host", "line"], "left_anti").select("doc_id")
+    return found.filter("mark or bare").select("doc_id").unionByName(residual).dropDuplicates()
