@@ -10,20 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainlake.functions import text as T
+from grainlake.session import materialize
 
 K1, B, DELTA, TOP, BOOST = 1.5, 0.75, 1.0, 400, 0.4
 PLACES = 9  # scores that agree so far are ties
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """doc_id, term, tf, doc_len."""
-    rows = corpus.select("doc_id", T.words(F.col("passage")).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
+def tokens(corpus: DataFrame) -> DataFrame:
+    """doc_id, w: the words of each passage."""
+    return corpus.select("doc_id", T.words(F.col("passage")).alias("w"))
+
+
+def postings(words: DataFrame) -> DataFrame:
+    """doc_id, term, tf, doc_len of the table of words."""
+    rows = words.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
     return rows.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(corpus: DataFrame) -> DataFrame:
+def corpus_size(words: DataFrame) -> DataFrame:
     """n, avgdl: one row."""
-    return corpus.select(F.size(T.words(F.col("passage"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return words.select(F.size("w").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_weights(index: DataFrame, n: int) -> DataFrame:
@@ -43,15 +49,16 @@ def bm25_ranking(questions: DataFrame, corpus: DataFrame, most: int = TOP) -> Da
     Postings meet the terms of the questions; documents without a common term all score the same base, so only where fewer than
     `most` documents match are the smallest doc_ids added, from a list of 2 * most.
     """
-    index = postings(corpus)
-    n, avgdl = corpus_size(corpus).first()
+    words = materialize(tokens(corpus), "bm25-words")  # read four times
+    index = postings(words)
+    n, avgdl = corpus_size(words).first()
     terms = questions.select("qid", F.explode(T.words(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = terms.join(term_weights(index, n), "term")
     base = questions.select("qid").join(weighted.groupBy("qid").agg(F.sum(F.col("qtf") * F.col("idf") * DELTA).alias("base")), "qid", "left").fillna(0.0, ["base"])
     share = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("doc_len") / F.lit(avgdl)) + F.col("tf"))
     matched = weighted.join(index, "term").groupBy("qid", "doc_id").agg(F.sum(share).alias("gain"))
     best = top_by(matched, "qid", "gain", "doc_id", most)
-    least = [r[0] for r in corpus.select("doc_id").distinct().orderBy("doc_id").limit(2 * most).collect()]
+    least = [r[0] for r in words.select("doc_id").distinct().orderBy("doc_id").limit(2 * most).collect()]
     count = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     short = questions.select("qid").join(count, "qid", "left").filter(F.coalesce("n", F.lit(0)) < most)
     rest = short.select("qid", F.explode(F.array(*map(F.lit, least)) if least else F.array().cast("array<string>")).alias("doc_id")).join(best, ["qid", "doc_id"], "left_anti")

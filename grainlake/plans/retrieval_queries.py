@@ -15,36 +15,40 @@ ASKED = 200  # characters of a chunk that make a question
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    return X.chunks(spark, d).withColumn("unit", dense.unit(F.col("vec"))).drop("vec")
+    """The chunks with unit vectors, written once for the several steps that read them."""
+    return materialize(X.chunks(spark, d).withColumn("unit", dense.unit(F.col("vec"))).drop("vec"), "units")
 
 
 def asked(chunks: DataFrame) -> DataFrame:
     return chunks.filter("chunk_id % 50 = 0").select(F.col("chunk_id").cast("string").alias("qid"), F.substring("text", 1, ASKED).alias("question"), "unit")
 
 
-def _lexical(spark: SparkSession, d: str, boost: bool = True) -> DataFrame:
-    corpus, questions = X.corpus(spark, d), asked(units(spark, d)).select("qid", "question")
+def _lexical(spark: SparkSession, d: str, boost: bool = True, chunks: DataFrame | None = None) -> DataFrame:
+    corpus = X.corpus(spark, d)
+    questions = asked(X.chunks(spark, d).withColumn("unit", F.lit(None)) if chunks is None else chunks).select("qid", "question")
     ranking = lexical.bm25_ranking(questions, corpus)
     return lexical.number_boost(ranking, questions, corpus) if boost else ranking
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    chunks = units(spark, d)
+def _dense(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    chunks = units(spark, d) if chunks is None else chunks
     return dense.dense_ranking(asked(chunks), chunks)
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return dense.fuse([_lexical(spark, d), _dense(spark, d)])
+def _fused(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    chunks = units(spark, d) if chunks is None else chunks
+    return dense.fuse([_lexical(spark, d, chunks=chunks), _dense(spark, d, chunks)])
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    chunks = units(spark, d)
-    return dense.candidate_pool(materialize(_fused(spark, d), "fused"), asked(chunks), chunks)
+def _pool(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    chunks = units(spark, d) if chunks is None else chunks
+    return dense.candidate_pool(materialize(_fused(spark, d, chunks), "fused"), asked(chunks), chunks)
 
 
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The five candidates of each question."""
-    return dense.two_stage(_pool(spark, d), asked(units(spark, d)).select("qid", "question"))
+    chunks = units(spark, d)
+    return dense.two_stage(_pool(spark, d, chunks), asked(chunks).select("qid", "question"))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -79,14 +83,14 @@ CANDIDATES = f"{_RERANK}, candidates AS {_top('reranked', 'ce', 'chunk_id', 5, '
 @query(f"WITH {_INDEX} SELECT doc_id, term, tf, doc_len FROM postings")
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     """The lexical index."""
-    return lexical.postings(X.corpus(spark, d)).select("doc_id", "term", "tf", "doc_len")
+    return lexical.postings(lexical.tokens(X.corpus(spark, d))).select("doc_id", "term", "tf", "doc_len")
 
 
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     """Term weights."""
     corpus = X.corpus(spark, d)
-    return _rounded(lexical.term_weights(lexical.postings(corpus), corpus.count()), "idf")
+    return _rounded(lexical.term_weights(lexical.postings(lexical.tokens(corpus)), corpus.count()), "idf")
 
 
 @query(f"WITH {_BM25} SELECT qid, doc_id, rank, round(score, 6) AS score FROM bm25")
@@ -146,8 +150,9 @@ def audit_pool(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RERANK} SELECT qid, chunk_id, round(ce, 6) AS ce FROM reranked")
 def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the default reranker for the ten best."""
-    first = lexical.top_by(_pool(spark, d), "qid", "emb", "chunk_id", dense.PRE)
-    return _rounded(dense.lexical_rerank(first, asked(units(spark, d)).select("qid", "question")), "ce").select("qid", "chunk_id", "ce")
+    chunks = units(spark, d)
+    first = lexical.top_by(_pool(spark, d, chunks), "qid", "emb", "chunk_id", dense.PRE)
+    return _rounded(dense.lexical_rerank(first, asked(chunks).select("qid", "question")), "ce").select("qid", "chunk_id", "ce")
 
 
 @query(f"WITH {CANDIDATES} SELECT qid, ce_rank, chunk_id, doc_id, kind, round(emb, 6) AS emb, round(ce, 6) AS ce FROM candidates")
