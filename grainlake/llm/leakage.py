@@ -3,7 +3,7 @@
 Method: one Aho-Corasick automaton over the normalised test items scans every document once. Its patterns are the disjoint
 blocks of six words of each item: any stretch of 24 words of an item holds three whole blocks, so two edits leave one of them
 untouched and no leak is missed. (A stretch that reaches 24 words only with words that the document adds has fewer of the item's;
-it is found if a block of it is whole. Blocks of five words would find all of these too, at six times the time.)
+it is found if a block of it is whole. Blocks of five words would find all of these too, at three times the CPU time.)
 Around each hit the stretch is grown on both sides with furthest-reaching diagonals (an exact check),
 and its word positions are mapped back to character offsets of the original text.
 
