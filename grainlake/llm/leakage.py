@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from grainlake.llm.charforms import ascii_fold, word_line, words
 
 LEAST_WORDS, MOST_EDITS, BLOCK = 24, 2, 6
-ITEMS_AT_ONCE = 20_000  # test items in one automaton; more are scanned for in further passes
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 16 << 20  # of test items in one automaton; more are scanned for in further passes
 
 _RUN = re.compile("[a-z0-9]+")
 
@@ -160,18 +161,29 @@ def _scan(shared: Broadcast, name: str, least: int, edits: int, block: int):
     return scan
 
 
+def _passes(pairs: Iterator[tuple[str, str]], most_items: int, most_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in lists of bounded size, so that what is broadcast at once is bounded; one empty list if there are none."""
+    held, chars = [], 0
+    for key, text in pairs:
+        if held and (len(held) >= most_items or chars + len(text) > most_chars):
+            yield held
+            held, chars = [], 0
+        held.append((key, text))
+        chars += len(text)
+    yield held
+
+
 def leaked_stretches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "qid", item_texts: tuple[str, ...] = ("question", "reference_answer"), least: int = LEAST_WORDS, edits: int = MOST_EDITS, block: int = BLOCK, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """doc_id, qid, n_words, start, end: the longest leaked stretch of each test item in each document, as character offsets."""
     if (least - block + 1) // block <= edits:
         raise ValueError("a stretch must hold more whole blocks than edits")
     wanted = items.filter(F.col(item_key).isNotNull()).select(item_key, *item_texts).dropDuplicates().orderBy(item_key)
-    pairs = [(str(r[0]), t) for r in wanted.toLocalIterator() for t in r[1:] if t and t.strip()]
+    pairs = ((str(r[0]), t) for r in wanted.toLocalIterator() for t in r[1:] if t and t.strip())
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for at in range(0, max(1, len(pairs)), items_at_once):
-        shared, name = spark.sparkContext.broadcast(pairs[at : at + items_at_once]), uuid.uuid4().hex
-
+    for held in _passes(pairs, items_at_once, CHARS_AT_ONCE):
+        shared, name = spark.sparkContext.broadcast(held), uuid.uuid4().hex
         scan = _scan(shared, name, least, edits, block)
         part = rows.select("doc_id", F.explode(scan("text")).alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.unionByName(part)
