@@ -3,7 +3,9 @@
 Method: canonicalised hash join across the splits. Each question is folded to words, courtesy phrases taken off; the numbers
 that it names must be equal and are part of every join key, and the legal documents must not differ. A change of one word destroys at most three
 pairs of adjacent words, so of the rarest 3k + 6 pairs of two questions within k changes at least six are common (prefix
-filter, in one global order): the hash join over these keys loses none, and an exact count of the changes follows.
+filter, in one global order): the hash join over these keys loses none, and an exact count of the changes follows. The keys of
+the other table go to the shared folder; each task joins its own questions with them, block by block, counts and compares there,
+so no pair of questions that isn't one in the result is shuffled.
 
 Defined results: null and blank questions, and null keys, are no cases; repeated rows count once; the most changes are one
 word in eight of the longer question; a word that stands elsewhere counts as one change.
@@ -13,13 +15,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from grainlake.llm.charforms import canonical, words
 from grainlake.llm.grouped_split import cited_documents
@@ -110,36 +117,97 @@ def _form(text: pa.Array) -> pa.Array:
     return pa.array(out, _FORM_ARROW)
 
 
-@arrow_udf(BooleanType())
-def _same(a: pa.Array, b: pa.Array, cited_a: pa.Array, cited_b: pa.Array) -> pa.Array:
-    rows = zip(a.to_pylist(), b.to_pylist(), cited_a.to_pylist(), cited_b.to_pylist(), strict=True)
-    return pa.array([not other_document(c, d) and same_question(x.split(), y.split()) for x, y, c, d in rows], pa.bool_())
-
-
 def _forms(df: DataFrame, side: str, key: str, text: str) -> DataFrame:
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("qid"), F.col(text).alias("text")).dropDuplicates()
     return rows.select(F.lit(side).alias("side"), "qid", _form("text").alias("f")).filter("f is not null").select("side", "qid", "f.*")
 
 
+_HELD, _BLOCK, _MOST_PAIRS = 60_000, 20_000, 4_000_000  # questions of a task and of the other table at a time, pairs expanded at once
+
+
+def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all rows and the row of each."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+
+
+def _joined(left: pa.Table, right: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of left and right that share as many keys as `need` of the left one says."""
+    own, of = _keys(left.column("hs").combine_chunks())
+    other, to = _keys(right.column("hs"))
+    order = np.argsort(other, kind="stable")
+    other, to = other[order], to[order]
+    first = np.searchsorted(other, own, "left")
+    met = np.searchsorted(other, own, "right") - first
+    need = left.column("need").to_numpy()
+    met[(np.bincount(of[met > 0], minlength=len(left)) < need)[of]] = 0
+    own_met = np.cumsum(np.bincount(of, weights=met, minlength=len(left)))
+    key_end = np.searchsorted(of, np.arange(len(left)), "right")
+    done = 0
+    while done < len(left):  # whole questions, as many as give the most pairs, one at least
+        upto = max(done + 1, int(np.searchsorted(own_met, (own_met[done - 1] if done else 0) + _MOST_PAIRS, "right")))
+        k = slice(key_end[done - 1] if done else 0, key_end[upto - 1])
+        n = met[k]
+        at = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        code, shared = np.unique(np.repeat(of[k], n) * right.num_rows + to[at], return_counts=True)
+        x, y = code // right.num_rows, code % right.num_rows
+        enough = shared >= need[x]
+        yield x[enough], y[enough]
+        done = upto
+
+
+def _matching(files: list[str]):
+    """A function for mapInArrow from questions to their pairs with the same question in the files."""
+
+    def pairs(left: pa.Table) -> Iterator[pa.RecordBatch]:
+        for file in files:
+            where, path = fs.FileSystem.from_uri(file)
+            with where.open_input_file(path) as source:
+                for right in pq.ParquetFile(source).iter_batches(batch_size=_BLOCK):
+                    for x, y in _joined(left, right):
+                        equal = pc.equal(left.column("numbers").take(pa.array(x)), right.column("numbers").take(pa.array(y))).to_numpy()
+                        x, y = pa.array(x[equal]), pa.array(y[equal])
+                        texts = (side.column(c).take(i).to_pylist() for c in ("cited", "line") for side, i in ((left, x), (right, y)))
+                        same = [not other_document(c, d) and same_question(a.split(), b.split()) for c, d, a, b in zip(*texts, strict=True)]
+                        same = pa.array(same, pa.bool_())
+                        found = left.column("qid").take(x.filter(same)), right.column("qid").take(y.filter(same))
+                        yield from pa.Table.from_arrays(list(found), names=["train_qid", "public_qid"]).combine_chunks().to_batches()
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _HELD:
+                yield from pairs(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return matching
+
+
 def same_questions(train: DataFrame, other: DataFrame, key: str = "qid", text: str = "question") -> DataFrame:
     """train_qid, public_qid of each pair that is the same question."""
-    forms = materialize(_forms(train, "a", key, text).unionByName(_forms(other, "b", key, text)), "p7-forms")
-    n = F.size("pairs")
+    both = _forms(train, "a", key, text).unionByName(_forms(other, "b", key, text))
+    hashed = F.transform("pairs", lambda p: F.hash("numbers", p))  # keys that meet by chance fail the comparison
+    place = F.monotonically_increasing_id()
+    forms = materialize(both.select(F.when(F.col("side") == "a", place).otherwise(-1 - place).alias("row"), "qid", "line", "numbers", "cited", F.size("pairs").alias("n"), hashed.alias("hs")), "p7-forms")
+    keys = forms.select("row", F.explode(F.array_distinct("hs")).alias("h"))
+    alike = Window.partitionBy("h")
+    often = F.count_if(F.col("row") >= 0).over(alike) * F.count_if(F.col("row") < 0).over(alike)
+    # rarity above, hash below, in one number
+    ranked = keys.select("row", (F.shiftleft(F.least(often, F.lit(2**31 - 1)).cast("long"), 32) + F.col("h").cast("long").bitwiseAND(2**32 - 1)).alias("x"))
+    rarest = ranked.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     # within k changes the longer question has at most 8/7 of these words, so k is at most a seventh of either
-    most = F.floor(n / (WORDS_A_CHANGE - 1)).cast("int")
-    keys = forms.select("side", "qid", (3 * most + IN_COMMON).alias("least"), F.explode("pairs").alias("pair"), "numbers").select("side", "qid", "least", F.xxhash64("numbers", "pair").alias("h"))
-    often = keys.groupBy("h").agg(F.count_if(F.col("side") == "a").alias("in_a"), F.count_if(F.col("side") == "b").alias("in_b"))
-    ranked = keys.join(often.select("h", (F.col("in_a") * F.col("in_b")).alias("often")), "h")
-    rarest = ranked.groupBy("side", "qid").agg(F.max("least").alias("least"), F.array_sort(F.collect_set(F.struct("often", "h"))).alias("hs"))
-    prefix = materialize(rarest.select("side", "qid", F.size("hs").alias("n"), F.explode(F.slice("hs", F.lit(1), F.col("least"))).alias("x")).filter("x.often > 0").select("side", "qid", "n", "x.h"), "p7-prefix")
-    a = prefix.filter("side = 'a'").select("h", F.col("qid").alias("train_qid"), "n")
-    b = prefix.filter("side = 'b'").select("h", F.col("qid").alias("public_qid"))
-    shared = a.join(b, "h").groupBy("train_qid", "public_qid").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"))
-    pairs = shared.filter(F.col("shared") >= F.least("n", F.lit(IN_COMMON))).select("train_qid", "public_qid")
-    left = forms.filter("side = 'a'").select(F.col("qid").alias("train_qid"), F.col("line").alias("line_a"), F.col("numbers").alias("numbers_a"), F.col("cited").alias("cited_a"))
-    right = forms.filter("side = 'b'").select(F.col("qid").alias("public_qid"), F.col("line").alias("line_b"), F.col("numbers").alias("numbers_b"), F.col("cited").alias("cited_b"))
-    both = pairs.join(left, "train_qid").join(right, "public_qid").filter("numbers_a = numbers_b")
-    return both.filter(_same("line_a", "line_b", "cited_a", "cited_b")).select("train_qid", "public_qid").distinct()
+    least = 3 * F.floor(F.col("n") / (WORDS_A_CHANGE - 1)).cast("int") + IN_COMMON
+    met = F.filter(F.slice("xs", F.lit(1), least), lambda x: x >= 2**32)
+    rows = forms.drop("hs").join(rarest.hint("merge"), "row").withColumns({"need": F.least(F.size("xs"), F.lit(IN_COMMON)), "hs": F.transform(met, lambda x: x.bitwiseAND(2**32 - 1))})
+    rows = materialize(rows.select("row", "qid", "line", "numbers", "cited", "need", "hs").filter("size(hs) > 0"), "p7-prefix")
+    kept = ["qid", "line", "numbers", "cited", "need", "hs"]
+    files = sorted(materialize(rows.filter("row < 0").select(kept), "p7-other").inputFiles())
+    kind = forms.schema["qid"].dataType
+    schema = StructType([StructField("train_qid", kind), StructField("public_qid", kind)])
+    return rows.filter("row >= 0 and size(hs) >= need").select(kept).mapInArrow(_matching(files), schema).distinct()
 
 
 def pair_counts(pairs: DataFrame, other: DataFrame) -> DataFrame:
