@@ -82,3 +82,26 @@ def test_two_stage_keeps_what_there_is(spark):
 def test_units(spark):
     v = spark.range(1).select(dense.unit(F.array(F.lit(3.0), F.lit(4.0)))).first()[0]
     assert v == [0.6, 0.8]
+
+
+def test_rankings_shuffle_no_pairs(spark):
+    corpus = spark.createDataFrame([(f"d{i}", "a b c") for i in range(6)], "doc_id string, passage string")
+    questions = spark.createDataFrame([("1", "a b"), ("2", "c")], "qid string, question string")
+    vectors = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 1.0])], "id string, unit array<double>")
+    rankings = lexical.bm25_ranking(questions, corpus, 2), dense.dense_ranking(vectors.withColumnRenamed("id", "qid"), vectors.withColumnRenamed("id", "doc_id"), 2)
+    for ranking in rankings:
+        plan = ranking._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Aggregate", "Window"))
+        assert ranking.groupBy("qid").count().filter("count = 2").count() == 2
+
+
+def test_best_of_blocks():
+    rng = np.random.default_rng(5)
+    names = np.array(sorted(rng.choice(200, 90, replace=False).astype("S")), "S")
+    scores = rng.integers(0, 4, 90).astype(float)
+    for most in (1, 7, 200):
+        best = lexical.NOTHING
+        for part in (slice(60, 90), slice(0, 25), slice(25, 60), slice(0, 10)):
+            best = lexical.merged(best, scores[part], names[part], most)
+        want = sorted(zip(-scores, names, strict=True))[:most]
+        assert list(zip(-best[0], best[1], strict=True)) == want
