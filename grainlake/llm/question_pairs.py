@@ -191,17 +191,17 @@ def same_questions(train: DataFrame, other: DataFrame, key: str = "qid", text: s
     both = _forms(train, "a", key, text).unionByName(_forms(other, "b", key, text))
     hashed = F.transform("pairs", lambda p: F.hash("numbers", p))  # keys that meet by chance fail the comparison
     place = F.monotonically_increasing_id()
-    forms = materialize(both.select(F.when(F.col("side") == "a", place).otherwise(-1 - place).alias("row"), "qid", "line", "numbers", "cited", F.size("pairs").alias("n"), hashed.alias("hs")), "p7-forms")
-    keys = forms.select("row", F.explode(F.array_distinct("hs")).alias("h"))
+    forms = materialize(both.select(F.when(F.col("side") == "a", place).otherwise(-1 - place).alias("row"), "qid", "line", "numbers", "cited", F.size("pairs").alias("n"), F.array_distinct(hashed).alias("hs")), "p7-forms")
+    keys = forms.select("row", F.explode("hs").alias("h"))
     alike = Window.partitionBy("h")
     often = F.count_if(F.col("row") >= 0).over(alike) * F.count_if(F.col("row") < 0).over(alike)
-    # rarity above, hash below, in one number
-    ranked = keys.select("row", (F.shiftleft(F.least(often, F.lit(2**31 - 1)).cast("long"), 32) + F.col("h").cast("long").bitwiseAND(2**32 - 1)).alias("x"))
+    # rarity above, hash below, in one number; keys of one side only are the rarest, their count is enough
+    ranked = keys.select("row", (F.shiftleft(F.least(often, F.lit(2**31 - 1)).cast("long"), 32) + F.col("h").cast("long").bitwiseAND(2**32 - 1)).alias("x")).filter(F.col("x") >= 2**32)
     rarest = ranked.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     # within k changes the longer question has at most 8/7 of these words, so k is at most a seventh of either
     least = 3 * F.floor(F.col("n") / (WORDS_A_CHANGE - 1)).cast("int") + IN_COMMON
-    met = F.filter(F.slice("xs", F.lit(1), least), lambda x: x >= 2**32)
-    rows = forms.drop("hs").join(rarest.hint("merge"), "row").withColumns({"need": F.least(F.size("xs"), F.lit(IN_COMMON)), "hs": F.transform(met, lambda x: x.bitwiseAND(2**32 - 1))})
+    shared = F.slice("xs", F.lit(1), F.greatest(least - F.size("hs") + F.size("xs"), F.lit(0)))
+    rows = forms.join(rarest.hint("merge"), "row").withColumns({"need": F.least(F.size("hs"), F.lit(IN_COMMON)), "hs": F.transform(shared, lambda x: (x.bitwiseAND(2**32 - 1) - 2**31).cast("int"))})
     rows = materialize(rows.select("row", "qid", "line", "numbers", "cited", "need", "hs").filter("size(hs) > 0"), "p7-prefix")
     kept = ["qid", "line", "numbers", "cited", "need", "hs"]
     files = sorted(materialize(rows.filter("row < 0").select(kept), "p7-other").inputFiles())
