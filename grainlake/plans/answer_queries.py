@@ -57,15 +57,15 @@ def answer_conclusion(spark: SparkSession, d: str) -> DataFrame:
     return _refs(spark, d).select("doc_id", A.conclusion(F.col("title"), F.col("a"), F.col("question")).alias("conclusion"))
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
-    kept = candidates(spark, d)
-    return A.assemble(kept, X.corpus(spark, d)).join(kept.select("qid", "question").distinct(), "qid")
+def _answers(spark: SparkSession, d: str, kept: DataFrame | None = None) -> DataFrame:
+    kept = candidates(spark, d) if kept is None else kept
+    return A.assemble(kept, X.named_documents(spark, d, kept)).join(kept.select("qid", "question").distinct(), "qid")
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
     """Names of laws by code, as far as the corpus tells them: the documents whose passage opens with the code of a law."""
     code = F.regexp_extract(F.substring("passage", 1, 500), f"({A.LAW_CODE})", 1)
-    return X.corpus(spark, d).filter("name <> ''").select(code.alias("code"), "name").filter("code <> ''").groupBy("code").agg(F.min("name").alias("name"))
+    return X.documents(spark, d).filter("name <> ''").select(code.alias("code"), "name").filter("code <> ''").groupBy("code").agg(F.min("name").alias("name"))
 
 
 @query()
@@ -171,8 +171,9 @@ def pp_v84(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pp_override(spark: SparkSession, d: str) -> DataFrame:
     """Headers given for single questions."""
-    given = candidates(spark, d).groupBy("qid").agg(F.min("doc_id").alias("d")).select("qid", F.concat(F.lit("Căn cứ văn bản "), "d", F.lit(" như sau:")).alias("header"))
-    return A.override(A.split_parts(_answers(spark, d)), given).select("qid", F.col("h").alias("header"))
+    kept = candidates(spark, d)
+    given = kept.groupBy("qid").agg(F.min("doc_id").alias("d")).select("qid", F.concat(F.lit("Căn cứ văn bản "), "d", F.lit(" như sau:")).alias("header"))
+    return A.override(A.split_parts(_answers(spark, d, kept)), given).select("qid", F.col("h").alias("header"))
 
 
 @query()

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from grainlake.operators import dense, lexical
+from grainlake.plans import fixtures
 
 
 def plain_bm25(docs, asked):
@@ -105,3 +106,69 @@ def test_best_of_blocks():
             best = lexical.merged(best, scores[part], names[part], most)
         want = sorted(zip(-scores, names, strict=True))[:most]
         assert list(zip(-best[0], best[1], strict=True)) == want
+
+
+def test_boost_where_the_ranking_is_made(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(["a", "b", "c", "5", "7,5", "12/3", "2024"]) for _ in range(rng.randint(0, 9)))
+    corpus = spark.createDataFrame([(f"d{i:02d}", text() or None) for i in range(40)], "doc_id string, passage string")
+    questions = spark.createDataFrame([("1", "a 5 7,5 5"), ("2", "2024 c"), ("3", None), ("4", "99 b")], "qid string, question string")
+    rows = lambda df: [(r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.orderBy("qid", "rank").collect()]
+    got = lexical.bm25_ranking(questions, corpus, 15, boost=0.4)
+    assert rows(got) == rows(lexical.number_boost(lexical.bm25_ranking(questions, corpus, 15), questions, corpus))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pool_is_scored_where_the_questions_are(spark):
+    rng = np.random.default_rng(2)
+    docs = ["hot"] * 40 + [f"d{i % 5}" for i in range(20)]
+    chunks = [(100 - i, d, v.tolist()) for i, (d, v) in enumerate(zip(docs, rng.normal(size=(60, 4)), strict=True))] + [(200 + i, "hot", [1.0, 1.0, 0.0, 0.0]) for i in range(3)]
+    queries = [(str(i), (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(5, 4)))]
+    fused = [(q, d, 1.0, k) for q, _ in queries for k, d in enumerate(["hot", "d1", "none", "d2"], 1)][:-2] + [("9", "hot", 1.0, 1)]
+    f = spark.createDataFrame(fused, "qid string, doc_id string, score double, rank int")
+    q, c = spark.createDataFrame(queries, "qid string, unit array<double>"), spark.createDataFrame(chunks, "chunk_id bigint, doc_id string, vec array<float>").repartition(3)
+    want = {}
+    for qid, doc, _, rank in fused:
+        for i, d, v in chunks:
+            if d == doc and rank <= 3 and qid in dict(queries):
+                v = np.array(v, np.float32).astype(float)
+                want.setdefault(qid, []).append((-round(float(np.dot(dict(queries)[qid], v / np.linalg.norm(v))), 9), i, rank, d))
+    for most in (None, 2, 10, 1000):
+        got, df = {}, dense.candidate_pool(f, q, c, most=most, block=7)
+        for r in df.collect():
+            got.setdefault(r["qid"], []).append((-round(r["emb"], 9), r["chunk_id"], r["doc_rank"], r["doc_id"]))
+        assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x)[:most] for k, x in want.items()}
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert dense.candidate_pool(f, q, c.limit(0)).isEmpty() and dense.candidate_pool(f.limit(0), q, c, most=3).isEmpty()
+
+
+def test_lists_are_shuffled_once(spark):
+    lists = [spark.createDataFrame([("q", d, s) for d, s in rows], "qid string, doc_id string, score double") for rows in ([("a", 1.0), ("b", 2.0)], [("b", 5.0), ("c", 1.0)])]
+    assert dense.fuse(lists)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_repeated_documents_are_left_out_in_place(spark, tmp_path):
+    rows = [(1, "n", "l", "x 1"), (1, "n", "l", "x 1"), (2, None, "", None), (2, "", None, ""), (3, "n m", "", "x"), (3, "n", "m", "x"), (3, "n", "", "m x"), (None, "n", "l", "x"), (4, "n", "l", "x")]
+    df = spark.createDataFrame(rows * 3, "id bigint, name string, link string, passage string")
+    df.repartition(3).write.parquet(str(tmp_path / "selected_contexts.parquet"))
+    got = fixtures.corpus_unmoved(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fixtures.corpus(spark, str(tmp_path)).collect())) and got.count() == 6
+    assert "BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+    named = fixtures.named_documents(spark, str(tmp_path), spark.createDataFrame([("3",), ("3",), ("9",)], "doc_id string"))
+    assert named.count() == 3
+
+
+def test_parts_of_a_chunk_are_of_one_row(spark, tmp_path):
+    rows = [(i, f"d{i}{k}", "parent", k, f"{i} {k}", [float(i + k + 1)] + [0.5] * 63) for i in range(20) for k in (0, 1, 1)] + [(99, "d", "child", 0, "t", [0.0] * 64)]
+    spark.createDataFrame(rows, "chunk_id bigint, doc_id string, kind string, chunk_pos int, text string, vec array<float>").repartition(3).write.parquet(str(tmp_path / "parent_embeddings.parquet"))
+    chunks = fixtures.chunk_rows(spark, str(tmp_path))
+    both = fixtures.chunk_parts(chunks, "doc_id", "vec").join(fixtures.chunk_parts(chunks, "text"), "chunk_id").collect()
+    assert len(both) == 20 and all(r["doc_id"] == f"d{r['chunk_id']}{(k := int(r['text'][-1]))}" and r["vec"][0] == r["chunk_id"] + k + 1 for r in both)
+
+
+def test_override_retrieves_once(spark, monkeypatch):
+    from grainlake.plans import answer_queries
+
+    calls, found = [], answer_queries.candidates
+    monkeypatch.setattr(answer_queries, "candidates", lambda *x: calls.append(x) or found(*x))
+    assert answer_queries.pp_override(spark, "/root/testdata/sf0.001").count() and len(calls) == 1
