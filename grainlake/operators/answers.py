@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from grainlake.functions import patterns as P
 from grainlake.functions import text as T
+from grainlake.session import materialize
 
 Parts = tuple[Column, Column, Column]
 _EDGE_L, _EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -228,14 +229,16 @@ def override(df: DataFrame, headers: DataFrame, key: str = "qid") -> DataFrame:
 
 
 def normalise(df: DataFrame, names: DataFrame | None = None, headers: DataFrame | None = None, question: str = "question", answer: str = "answer") -> DataFrame:
-    """df with the answer after all rules in their order."""
-    rows = split_parts(df, answer)
+    """df with the answer after all rules in their order; written between, as the driver's memory is too small for one plan of them all."""
+    rows = split_parts(materialize(df, "answers"), answer)
     for rule in (cite_from_conclusion, citation_wording):
         rows = apply_rule(rows, rule)
     if names is not None:
         rows = cite_by_name(rows, names)
-    for rule in (trim_topic, add_clause, drop_upper_headings, trim_conclusion, article_of_body, conclude(F.col(question))):
-        rows = apply_rule(rows, rule)
+    for some in ((trim_topic, add_clause, drop_upper_headings), (trim_conclusion, article_of_body, conclude(F.col(question)))):
+        rows = materialize(rows, "answers")
+        for rule in some:
+            rows = apply_rule(rows, rule)
     if names is not None:
         rows = cite_by_name(rows, names, only=True)
     if headers is not None:

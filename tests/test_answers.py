@@ -58,3 +58,11 @@ def test_assembled_answer_and_chain(spark):
     done = A.normalise(spark.createDataFrame([("q", answer, "Thuế là gì?")], "qid string, answer string, question string"), headers=headers).first()["answer"]
     assert done.startswith("Đầu đề cho sẵn\nNội dung hai") and done.endswith("\nNhư vậy, theo quy định trên thì Thuế là gì.") and done.count("Như vậy") == 1
     assert A.assemble(kept.limit(0), corpus).isEmpty()
+
+
+def test_all_rules_are_not_one_plan(spark):
+    """The driver plans the rules within 750 MB of heap."""
+    answers = spark.createDataFrame([("1", "q?", "Điều 1 x\ny\nNhư vậy, z.")], "qid string, question string, answer string")
+    names = spark.createDataFrame([("1/2014/QH13", "Luật x")], "code string, name string")
+    got = A.normalise(answers, names)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 40_000 and got.count() == 1
