@@ -21,7 +21,7 @@ def tables(spark, tmp_path_factory):
     return str(d), sum(len(r[3]) for r in documents) + sum(len(r[4]) for r in chunks)
 
 
-@pytest.mark.parametrize(("name", "rows"), [("null_policy_check", 1), ("group_size_violations", 0), ("canonical_sort", 60)])
+@pytest.mark.parametrize(("name", "rows"), [("null_policy_check", 1), ("group_size_violations", 0), ("canonical_sort", 60), ("jaccard_overlap", 20)])
 def test_texts_are_not_written_between_steps(spark, tables, name, rows):
     before = len(session._WRITTEN)
     assert len(getattr(action_queries, name)(spark, tables[0]).collect()) == rows
