@@ -172,3 +172,17 @@ def test_override_retrieves_once(spark, monkeypatch):
     calls, found = [], answer_queries.candidates
     monkeypatch.setattr(answer_queries, "candidates", lambda *x: calls.append(x) or found(*x))
     assert answer_queries.pp_override(spark, "/root/testdata/sf0.001").count() and len(calls) == 1
+
+
+def test_many_questions_of_a_task(spark):
+    n = 10 * lexical.AT_ONCE
+    corpus = spark.createDataFrame([(f"d{i}", " ".join("abcdefg"[: i % 7 + 1])) for i in range(9)], "doc_id string, passage string")
+    questions = spark.range(n).selectExpr("string(id) as qid", "substring('gfedcba', 1 + id % 7, 2) as w").selectExpr("qid", "concat_ws(' ', left(w, 1), right(w, 1)) as question")
+    chunks = spark.range(9).selectExpr("concat('d', id) as doc_id", "array(cos(id), sin(id)) as unit")
+    queries = spark.range(n).selectExpr("string(id) as qid", "array(cos(2.5 * (id % 7)), sin(2.5 * (id % 7))) as unit")
+    for ranking in (lexical.bm25_ranking(questions, corpus, 4), dense.dense_ranking(queries, chunks, 4, block=4)):
+        own = {}
+        for r in ranking.collect():
+            own.setdefault(r["qid"], {})[r["rank"]] = (r["doc_id"], round(r["score"], 9))
+        assert len(own) == n and all(len(x) == 4 and x == own[str(int(q) % 7)] for q, x in own.items())
+    assert {d for d, _ in own["1"].values()} == {f"d{i}" for i in sorted(range(9), key=lambda i: -np.cos(i - 2.5))[:4]}
