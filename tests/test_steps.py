@@ -7,6 +7,7 @@ import pytest
 
 from grainlake import session
 from grainlake.plans import action_queries
+from grainlake.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +28,16 @@ def test_texts_are_not_written_between_steps(spark, tables, name, rows):
     assert len(getattr(action_queries, name)(spark, tables[0]).collect()) == rows
     written = [Path(p.removeprefix("file://")) for p in session._WRITTEN[before:]]
     assert written and sum(f.stat().st_size for p in written for f in p.rglob("*.parquet")) < tables[1] / 4
+
+
+OTHERS = [
+    ("pair_features", 40),
+]
+
+
+@pytest.mark.parametrize(("name", "rows"), OTHERS)
+def test_rankings_and_answers_write_no_texts(spark, tables, name, rows):
+    before = len(session._WRITTEN)
+    assert len(QUERIES[name](spark, tables[0]).collect()) == rows
+    written = [Path(p.removeprefix("file://")) for p in session._WRITTEN[before:]]
+    assert written and sum(f.stat().st_size for p in written for f in p.rglob("*.parquet")) < tables[1] / 4
