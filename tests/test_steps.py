@@ -32,6 +32,7 @@ def test_texts_are_not_written_between_steps(spark, tables, name, rows):
 
 OTHERS = [
     ("pair_features", 40),
+    ("assemble_actions", 4),
 ]
 
 
