@@ -33,6 +33,7 @@ def test_texts_are_not_written_between_steps(spark, tables, name, rows):
 OTHERS = [
     ("pair_features", 40),
     ("assemble_actions", 4),
+    ("pp_add_clause", 4),
 ]
 
 
