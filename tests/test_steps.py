@@ -34,6 +34,7 @@ OTHERS = [
     ("pair_features", 40),
     ("assemble_actions", 4),
     ("pp_add_clause", 4),
+    ("assemble_answer", 4),
 ]
 
 
