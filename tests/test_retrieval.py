@@ -186,3 +186,25 @@ def test_many_questions_of_a_task(spark):
             own.setdefault(r["qid"], {})[r["rank"]] = (r["doc_id"], round(r["score"], 9))
         assert len(own) == n and all(len(x) == 4 and x == own[str(int(q) % 7)] for q, x in own.items())
     assert {d for d, _ in own["1"].values()} == {f"d{i}" for i in sorted(range(9), key=lambda i: -np.cos(i - 2.5))[:4]}
+
+
+def test_new_documents_wait_for_a_sort(monkeypatch):
+    rng, sorts, sort = np.random.default_rng(9), [], lexical.ordered
+    monkeypatch.setattr(lexical, "ordered", lambda *x: sorts.append(x) or sort(*x))
+    names = np.array(sorted(f"d{i:04d}" for i in range(2000)), "S")
+    for scores in (rng.integers(0, 9, 2000).astype(float), rng.normal(size=2000), np.zeros(2000)):
+        best, blocks = lexical.Best(100), np.array_split(rng.permutation(2000), 80)
+        sorts.clear()
+        for part in (*map(np.sort, blocks), np.arange(30)):
+            best.add(scores[part], names[part])
+        want = sorted(zip(-np.round(scores, lexical.PLACES), names, strict=True))[:100]
+        assert [(-round(s, lexical.PLACES), n) for s, n in zip(*best.found(), strict=True)] == want and len(sorts) < 50
+
+
+def test_boost_of_documents_given_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "_BLOCK_DOCS", 3)
+    rng = random.Random(8)
+    corpus = spark.createDataFrame([(f"d{i:02d}", " ".join(rng.choice(["a", "b", "5", "7", "12"]) for _ in range(6))) for i in range(40)], "doc_id string, passage string").coalesce(1)
+    questions = spark.createDataFrame([("1", "a 5 7"), ("2", "b"), ("3", "12 99")], "qid string, question string")
+    rows = lambda df: [(r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.orderBy("qid", "rank").collect()]
+    assert rows(lexical.bm25_ranking(questions, corpus, 15, boost=0.4)) == rows(lexical.number_boost(lexical.bm25_ranking(questions, corpus, 15), questions, corpus))

@@ -35,6 +35,7 @@ OTHERS = [
     ("assemble_actions", 4),
     ("pp_add_clause", 4),
     ("assemble_answer", 4),
+    ("pp_canonical_lookup", 4),
 ]
 
 
