@@ -36,6 +36,7 @@ OTHERS = [
     ("pp_add_clause", 4),
     ("assemble_answer", 4),
     ("pp_canonical_lookup", 4),
+    ("reconstruct_scores", 20),
 ]
 
 
