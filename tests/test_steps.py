@@ -37,6 +37,7 @@ OTHERS = [
     ("assemble_answer", 4),
     ("pp_canonical_lookup", 4),
     ("reconstruct_scores", 20),
+    ("audit_pool", 200),
 ]
 
 
