@@ -38,6 +38,7 @@ OTHERS = [
     ("pp_canonical_lookup", 4),
     ("reconstruct_scores", 20),
     ("audit_pool", 200),
+    ("bm25_number_boost", 800),
 ]
 
 
