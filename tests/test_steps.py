@@ -39,6 +39,7 @@ OTHERS = [
     ("reconstruct_scores", 20),
     ("audit_pool", 200),
     ("bm25_number_boost", 800),
+    ("bm25_topk", 800),
 ]
 
 
