@@ -40,6 +40,7 @@ OTHERS = [
     ("audit_pool", 200),
     ("bm25_number_boost", 800),
     ("bm25_topk", 800),
+    ("hybrid_topdocs", 12),
 ]
 
 
