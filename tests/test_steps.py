@@ -41,6 +41,7 @@ OTHERS = [
     ("bm25_number_boost", 800),
     ("bm25_topk", 800),
     ("hybrid_topdocs", 12),
+    ("pp_v84", 4),
 ]
 
 
