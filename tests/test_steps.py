@@ -42,6 +42,7 @@ OTHERS = [
     ("bm25_topk", 800),
     ("hybrid_topdocs", 12),
     ("pp_v84", 4),
+    ("pp_override", 4),
 ]
 
 
