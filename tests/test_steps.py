@@ -43,6 +43,7 @@ OTHERS = [
     ("hybrid_topdocs", 12),
     ("pp_v84", 4),
     ("pp_override", 4),
+    ("pp_v80", 4),
 ]
 
 
